@@ -24,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="rowtide-"))
     return _own_folder[0]
