@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, packing, pages, quality, records, suffixes
+from . import bpe, chat, fingerprints, lines, neardup, packing, pages, quality, records, suffixes
 from .common import table
 
 
@@ -34,6 +34,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op3_quality_rules, op4_suffix_array_dedup, op5_bpe, op6_packing, op9_binary_records, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op3_quality_rules, op4_suffix_array_dedup, op5_bpe, op6_packing, op7_line_dedup, op8_minhash_near_dedup, op9_binary_records, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -226,7 +226,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
     """docs without each byte that a repeated window of `depth` bytes covers.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and, if asked for, kept: the remaining bytes as text,
-    where a character that lost some of its bytes is left out. Every copy of a repeated window goes, its first
+    where a character that lost some of its bytes is left out, and
+    the hash of the text, tag. Every copy of a repeated window goes, its first
     included, and what is repeated is judged on the input. Null and empty texts, and texts shorter than a window, lose
     nothing. Rows that repeat are copies of each other; a null doc_id is a value like others. An empty table gives no
     rows; other columns are not read.
@@ -235,12 +236,12 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
     rows = docs.select("doc_id", "text").withColumn("tag", F.xxhash64("text"))
     found = repeated_windows(rows, depth, block)
     lists = found.groupBy(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag")).agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("runs"))
-    joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.at_id) & (rows.tag == lists.at_tag), "left").select("doc_id", "text", "runs")
+    joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.at_id) & (rows.tag == lists.at_tag), "left").select("doc_id", "tag", "text", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
+            for k, (doc, tag, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")))):
                 data, todo = (text or "").encode(), batch.column("runs")[k]
                 spans = []
                 if todo.is_valid:
@@ -253,12 +254,21 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), _text(data, spans) if keep_text else None))
-            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)]
-            yield pa.RecordBatch.from_arrays(columns[: 5 + keep_text], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
+                out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), _text(data, spans) if keep_text else None, tag))
+            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)]
+            yield pa.RecordBatch.from_arrays(columns[: 5 + 2 * keep_text], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "tag"][: 5 + 2 * keep_text])
 
-    return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
+    return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, tag long" * keep_text)
+
+
+def cut_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """docs with text cut as `remove_repeats` cuts it; null texts stay null, other columns stay."""
+    cut = remove_repeats(docs, depth, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), "tag", "kept").dropDuplicates(["__s_id", "tag"])
+    cut = stash(cut.select("__s_id", F.col("tag").alias("__s_tag"), F.col("kept").alias("__s_kept")), "cut")
+    rows = docs.withColumn("__s_hash", F.xxhash64("text"))
+    rows = rows.join(cut, rows.doc_id.eqNullSafe(F.col("__s_id")) & (F.col("__s_hash") == F.col("__s_tag")), "left")
+    return rows.select(*(F.coalesce("__s_kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def _text(data: bytes, spans: list[tuple[int, int]]) -> str:
