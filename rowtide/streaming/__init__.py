@@ -1,0 +1 @@
+"""Streaming of the ordered-table engine."""
