@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def encoded_words(words: DataFrame, path: str, least: int = 2) -> DataFrame:
     """(key, check, uses, ids): hashes of each distinct word used at least `least` times, and its ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokens.WordEncoder(path)
+        model = tokens.encoder(path)
         for batch in batches:
             word = batch.column(0).to_pylist()
             hashes = [xxhash.xxh3_128_intdigest(w.encode()) for w in word]
@@ -95,7 +96,13 @@ class PieceTable:
 
     def decode(self, ids: np.ndarray) -> str:
         got = self.pieces.take(pa.array(ids))
-        return b"".join(got.to_pylist()).decode("utf-8", "replace")
+        data = got.buffers()[2]  # the pieces one after another
+        return data.to_pybytes().decode("utf-8", "replace") if data is not None else ""
+
+
+@lru_cache(2)
+def _piece_table(path: str) -> PieceTable:
+    return PieceTable(path)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, most: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
@@ -117,7 +124,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, most: int = TABLE_BY
     sent = spark.sparkContext.broadcast(table)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, pieces = tokens.WordEncoder(path, sent.value), PieceTable(path)
+        model, pieces = tokens.encoder(path), _piece_table(path)
+        model.table = sent.value
         for batch in batches:
             coded = model.encode(clean_texts(batch.column(1)))
             ids = [np.frombuffer(x, "<u4") for x in coded]
