@@ -189,8 +189,10 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stash(classes.withColumn("many", F.col("many") | F.col("again")), "classes")
     repeated = classes.where("many").select("c", "x", "y")
     several = classes.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-    left = classes.join(several, "c", "left_semi").select("one.*", "many")
-    return rows.where("not many").join(repeated, ["c", "x", "y"], "left_semi").select("doc_id", "tag", "first", "count"), left
+    left = stash(classes.join(several, "c", "left_semi").select("one.*", "many"), "left")
+    settled = stash(rows.where("not many").join(repeated, ["c", "x", "y"], "left_semi").select("doc_id", "tag", "first", "count"), "settled")
+    discard(classes, rows)
+    return settled, left
 
 
 def repeated_windows(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -217,9 +219,7 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) ->
     settled_cells, left = _settle(second)
     third = stash(_of_runs(long_texts, left, depth, single=True, block=block), "suffixes")
     settled_suffixes, _ = _settle(third)
-    out = stash(settled.union(settled_cells).union(settled_suffixes), "repeated")
-    discard(first, second, third)
-    return out
+    return settled.union(settled_cells).union(settled_suffixes)
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, block: int = BLOCK) -> DataFrame:
