@@ -103,10 +103,12 @@ def score(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that `score` keeps, with docs' own columns."""
-    measured = with_measures(docs).withColumn("__q_failed", rule_failed())
-    bad = rejected_hosts(measured.select(F.col(host).alias("host"), F.col("__q_failed").alias("failed")), "host", limit).select(F.col("host").alias("__q_bad"))
-    good = measured.where(~base_failed()).join(bad, F.col(host).eqNullSafe(F.col("__q_bad")), "left_anti")
-    return good.select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # written before it is filtered: a filter would be pushed down and repeat the array functions inside each other
+    rows = stash(with_measures(docs).select(*columns, base_failed().alias("__q_base"), rule_failed().alias("__q_failed")), "measured")
+    bad = rejected_hosts(rows.select(F.col(host).alias("host"), F.col("__q_failed").alias("failed")), "host", limit).select(F.col("host").alias("__q_bad"))
+    good = rows.where("not __q_base").join(bad, F.col(host).eqNullSafe(F.col("__q_bad")), "left_anti")
+    return good.select(*columns)
 
 
 SCORE_SQL = r"""
