@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..operators import cast, compare, nested, selection
 from ..operators.order import ROW, with_row_index
 from ..operators.sampler import sample
 
@@ -22,6 +22,27 @@ _E = "WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_idx, ev
 _WIN = "SELECT e.*, lag(value, 1) OVER w AS m1, lag(value, 2) OVER w AS m2, lead(value, 1) OVER w AS p1, lag(event_type, 1) OVER w AS t1, lag(user_id) OVER w AS u1, n.n FROM e, n WINDOW w AS (ORDER BY row_idx)"
 _ALL = "row_idx, event_id, user_id, event_type, value"
 
+
+
+def lineitem(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _compared(change, **how):
+    """Where events differ from a changed copy, cell by cell."""
+
+    def query(spark, sf_dir):
+        rows = events(spark, sf_dir)
+        return compare.compare_values(rows, change(rows), **how).select(ROW, "column_index", "column")
+
+    return query
+
+
+_SCAN = [(0, "l_orderkey", "int64", 64), (1, "l_linenumber", "int32", 32), (2, "l_quantity", "double", 128)]
+_RANGES = " UNION ALL ".join(f"SELECT {i} AS column_index, '{c}' AS \"column\", '{k}' AS original, {b} AS bits, min({c}) AS lo, max({c}) AS hi, bool_and({c} = round({c})) AS whole FROM lineitem" for i, c, k, b in _SCAN)
+_LADDER = "CASE WHEN NOT whole THEN 'other' WHEN lo >= 0 AND hi <= 1 THEN 'bool' WHEN lo >= 0 AND hi <= 255 AND bits > 8 THEN 'uint8' WHEN lo >= 0 AND hi <= 65535 AND bits > 16 THEN 'uint16' WHEN lo >= 0 AND hi <= 4294967295 AND bits > 32 THEN 'uint32' ELSE original END"
+_CLAMP = "event_id=u8,user_id=i8,value=i16"
+
 #: name: (query, SQL)
 QUERIES = {
     "sampler_pass_through": (_sampled("true", "X[0][*]"), f"{_E} SELECT {_ALL} FROM e"),
@@ -44,4 +65,14 @@ QUERIES = {
     "column_selection": (lambda s, d: selection.columns(events(s, d), "value,0:1"), f"{_E} SELECT row_idx, event_id, user_id, value FROM e"),
     "every_100th": (lambda s, d: selection.every(events(s, d), 100), f"{_E} SELECT {_ALL} FROM e WHERE row_idx % 100 = 0"),
     "random_access": (lambda s, d: events(s, d).where(F.col(ROW) == 123), f"{_E} SELECT {_ALL} FROM e WHERE row_idx = 123"),
+    "row_count": (lambda s, d: s.read.parquet(f"{d}/events.parquet").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events"),
+    "numeric_stats": (lambda s, d: cast.numeric_stats(lineitem(s, d).select("l_linenumber", "l_quantity")), "SELECT min(v) AS min, max(v) AS max, sum(v) AS sum, count(v) AS count, avg(v) AS mean FROM (SELECT l_quantity AS v FROM lineitem UNION ALL SELECT l_linenumber::DOUBLE FROM lineitem)"),
+    "narrow_scan": (lambda s, d: cast.scan(lineitem(s, d)), f"WITH r AS ({_RANGES}) SELECT column_index, \"column\", original, {_LADDER} AS optimal FROM r"),
+    "cast_static_clamp": (lambda s, d: cast.cast_static(events(s, d).drop("event_type"), _CLAMP), f"{_E} SELECT row_idx, least(event_id, 255)::SMALLINT AS event_id, least(user_id, 127)::TINYINT AS user_id, greatest(least(round(value), 32767), -32768)::SMALLINT AS value FROM e"),
+    "cast_loss_count": (lambda s, d: cast.loss_counts(events(s, d).drop("event_type"), _CLAMP), "SELECT 'event_id' AS \"column\", 'int64' AS original, 'uint8' AS target, count(*) FILTER (event_id > 255) AS lossy FROM events UNION ALL SELECT 'user_id', 'int64', 'int8', count(*) FILTER (user_id > 127) FROM events UNION ALL SELECT 'value', 'double', 'int16', count(*) FILTER (value <> round(value) OR round(value) NOT BETWEEN -32768 AND 32767) FROM events"),
+    "compare_values": (_compared(lambda e: e.withColumn("value", F.col("value") + (F.col("event_id") % 3) * 0.25)), f"{_E} SELECT row_idx, 3 AS column_index, 'value' AS \"column\" FROM e WHERE event_id % 3 <> 0"),
+    "compare_tolerance": (_compared(lambda e: e.withColumn("value", F.col("value") + (F.col("event_id") % 3) * 0.25), tolerance=0.375), f"{_E} SELECT row_idx, 3 AS column_index, 'value' AS \"column\" FROM e WHERE event_id % 3 = 2"),
+    "compare_int_float": (_compared(lambda e: e.withColumn("user_id", F.col("user_id") + F.when(F.col("event_id") % 10 == 0, 0.5).otherwise(0.0))), f"{_E} SELECT row_idx, 1 AS column_index, 'user_id' AS \"column\" FROM e WHERE event_id % 10 = 0"),
+    "flatten_embedding": (lambda s, d: nested.flatten(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), {"embedding": 64}), "SELECT vec_id, " + ", ".join(f'embedding[{i + 1}] AS "embedding[{i}]"' for i in range(64)) + " FROM embeddings"),
+    "unflatten_nation": (lambda s, d: nested.unflatten(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.col("n_name").alias("n.name"), F.col("n_regionkey").alias("n.region"))).select("n_nationkey", "n.name", "n.region"), "SELECT n_nationkey, n_name AS name, n_regionkey AS region FROM nation"),
 }
