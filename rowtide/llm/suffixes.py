@@ -25,12 +25,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash
+from .common import BLANKS, discard, small_batches, stash
 from .fingerprints import mix
 
 DEPTH = 400
 GRAM = 32
 CELL = 48
+#: The smallest depth.
+LEAST = 2 * GRAM + CELL
 #: Bytes that are hashed at once; texts are joined up to a batch and cut into blocks that overlap.
 BLOCK = 1 << 17
 _U = np.uint64
@@ -199,8 +201,8 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) ->
     """Where a window of `depth` bytes of text occurs again, in the same or another row of docs (doc_id, tag, text):
     (doc_id, tag, first, count), runs of suffixes. Rows are known by doc_id and tag together; rows alike in both and in
     text are each other's copies."""
-    if depth < 2 * GRAM + CELL:
-        raise ValueError(f"depth must be {2 * GRAM + CELL} at least")
+    if depth < LEAST:
+        raise ValueError(f"depth must be {LEAST} at least")
     small_batches(docs.sparkSession, 200)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -222,8 +224,51 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) ->
     return settled.union(settled_cells).union(settled_suffixes)
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, block: int = BLOCK) -> DataFrame:
-    """docs without each byte that a repeated window of `depth` bytes covers.
+def _word_windows(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of so many words, as BLANKS part them, begins and ends."""
+    blank = np.isin(np.frombuffer(b" " + data + b" ", np.uint8), np.frombuffer(BLANKS.encode(), np.uint8))
+    start, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    return start[: max(0, len(start) - words + 1)], stop[words - 1 :]
+
+
+def repeated_passages(docs: DataFrame, words: int, block: int = BLOCK) -> DataFrame:
+    """Where a stretch of `words` whole words occurs again byte by byte, as in `repeated_windows`: (doc_id, tag, first,
+    stop). Only stretches whose every window of LEAST bytes is repeated, or that are shorter than one, are compared."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = repeated_windows(docs, LEAST, block)
+    lists = found.groupBy(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag")).agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    texts = docs.where(F.octet_length("text") >= 2 * words - 1)
+    texts = texts.join(lists, texts.doc_id.eqNullSafe(lists.at_id) & (texts.tag == lists.at_tag), "left").select("doc_id", "tag", "text", "runs")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, out = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                data, todo = text.encode(), batch.column("runs")[k]
+                first, stop = _word_windows(data, words)
+                edge = np.zeros(len(data) + 2, np.int64)
+                if todo.is_valid:
+                    begin, count = (c.to_numpy() for c in todo.values.flatten())
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + count, -1)
+                again = np.r_[0, np.cumsum(np.cumsum(edge) > 0)]  # repeated windows that begin before a place
+                last = np.maximum(stop - LEAST + 1, first)
+                for i in np.flatnonzero(again[last] - again[first] == last - first).tolist():
+                    a, b = int(first[i]), int(stop[i])
+                    x, y = np.frombuffer(hashlib.blake2b(data[a:b], digest_size=16).digest(), np.int64).tolist()
+                    owner.append(k)
+                    out.append((x, y, a, b))
+            x, y, first, stop = np.array(out, np.int64).reshape(-1, 4).T.copy()
+            yield _rows(batch, np.array(owner, np.int64), {"x": x, "y": y, "first": first, "stop": stop})
+
+    rows = stash(texts.mapInArrow(stretches, f"doc_id {kind}, tag long, x long, y long, first long, stop long"), "passages")
+    again = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    return rows.join(again, ["x", "y"], "left_semi").select("doc_id", "tag", "first", "stop")
+
+
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, block: int = BLOCK, words: int | None = None) -> DataFrame:
+    """docs without each byte that a repeated window of `depth` bytes or, if asked for, a repeated stretch of `words`
+    words covers.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and, if asked for, kept: the remaining bytes as text,
     where a character that lost some of its bytes is left out, and
@@ -235,6 +280,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").withColumn("tag", F.xxhash64("text"))
     found = repeated_windows(rows, depth, block)
+    if words:  # count is what gives the stop, so that it can be less than 1
+        found = found.union(repeated_passages(rows, words, block).select("doc_id", "tag", "first", (F.col("stop") - F.col("first") - depth + 1).alias("count")))
     lists = found.groupBy(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag")).agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("runs"))
     joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.at_id) & (rows.tag == lists.at_tag), "left").select("doc_id", "tag", "text", "runs")
 
@@ -262,9 +309,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
     return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, tag long" * keep_text)
 
 
-def cut_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, depth: int = DEPTH, words: int | None = None) -> DataFrame:
     """docs with text cut as `remove_repeats` cuts it; null texts stay null, other columns stay."""
-    cut = remove_repeats(docs, depth, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), "tag", "kept").dropDuplicates(["__s_id", "tag"])
+    cut = remove_repeats(docs, depth, keep_text=True, words=words).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), "tag", "kept").dropDuplicates(["__s_id", "tag"])
     cut = stash(cut.select("__s_id", F.col("tag").alias("__s_tag"), F.col("kept").alias("__s_kept")), "cut")
     rows = docs.withColumn("__s_hash", F.xxhash64("text"))
     rows = rows.join(cut, rows.doc_id.eqNullSafe(F.col("__s_id")) & (F.col("__s_hash") == F.col("__s_tag")), "left")
