@@ -6,8 +6,9 @@ runs are the keys of the inverted lists. (Longer texts that share only a passage
 of either comes between. Sets so small that a run may be torn have their single values as keys too.)
 
 Lists are not expanded into pairs. First each member meets two centres of its list; links that hold join most of a
-group. Then only members of lists that still have several components meet, across components. Pairs whose union
-sketch puts them far below the threshold go; the others are verified on their full sets, family by family.
+group. Lists that still have several components go to tasks in blocks, where sketches are compared across components and only
+pairs near the threshold come out. Pairs whose union sketch puts them far below the threshold go; the others are verified on
+their full sets, family by family.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from .common import components, discard, shuffle_parts, small_batches, stash
 from .fingerprints import Shingles, mix
 
 SHINGLE, PERCENT = 5, 80
-SKETCH = 64
+SKETCH = 256
 #: Smallest hashes whose runs are keys, a run's length, and the set size up to which single values are keys.
 KEYED, RUN, TINY = 40, 3, 12
 #: Standard deviations below the threshold at which an estimate rejects a pair.
 SIGMAS = 5
-#: Members of a family that are verified in one block.
+#: Members of a family that are verified in one block, and of a list that are compared in one.
 BLOCK = 400
 _U = np.uint64
 
@@ -76,8 +77,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[float, boo
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate doesn't rule them out, with it."""
-    t = percent / 100
-    slack = SIGMAS * (t * (1 - t) / SKETCH) ** 0.5
+    t, least = percent / 100, _least(percent)
     of = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             est, keep = [], []
             for k, (na, nb, sa, sb) in enumerate(zip(*columns.values())):
                 e, whole = estimate(np.frombuffer(sa, _U), np.frombuffer(sb, _U), na, nb)
-                if e >= (t - 1e-9 if whole else t - slack):
+                if e >= (t - 1e-9 if whole else least):
                     est.append(e)
                     keep.append(k)
             index = pa.array(keep, pa.int64())
@@ -95,6 +95,81 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long, est double")
 
 
+def _least(percent: int) -> float:
+    """The least estimate that doesn't rule a pair out."""
+    t = percent / 100
+    return t - SIGMAS * (t * (1 - t) / SKETCH) ** 0.5
+
+
+def estimates(a: np.ndarray, na: int, values: np.ndarray, place: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`estimate` of the sketch a with many others at once: their values in order, each with its place in its sketch and its
+    owner; n: set sizes by owner."""
+    low, high = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
+    many = high - low
+    at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+    where = np.full((len(n), len(a)), -1, np.int16)  # the place in the other sketch of each value of a
+    where[owner[at], np.repeat(np.arange(len(a)), many)] = place[at]
+    shared = where >= 0
+    nth = np.cumsum(shared, axis=1, dtype=np.int16)  # common values up to this one
+    common = nth[:, -1].astype(int)
+    rank = where + np.arange(1, len(a) + 1, dtype=np.int16) - nth  # in the union
+    whole = (n <= SKETCH) & (na <= SKETCH)
+    union = len(a) + np.minimum(n, SKETCH) - common
+    among = (shared & (rank < SKETCH)).sum(axis=1)
+    return np.where(whole, common / union, among / np.minimum(SKETCH, union)), whole
+
+
+def _across(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, est) of lists (k, c, n, g) whose ends are in different components g and whose estimate doesn't rule them
+    out. A list of several blocks goes to a task for each pair of blocks; no task holds more than two."""
+    size = open_lists.groupBy("k").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("s"))
+    rows = open_lists.join(size, "k").join(classes.select("c", "sketch"), "c").withColumn("own", F.expr("cast(pmod(xxhash64(c), s) as int)")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.select("k", F.least("own", "e").alias("i"), F.greatest("own", "e").alias("j"), "own", "c", "n", "g", "sketch")
+    rows = rows.repartition(shuffle_parts(open_lists.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "own", "c")
+    least, t = _least(percent), percent / 100
+
+    def pairs_of(block: list) -> Iterator[tuple[int, int, float]]:
+        own, c, n, g, sketches = zip(*block)
+        n, g, c = np.array(n), np.array(g), np.array(c)
+        sketches = [np.frombuffer(x, _U) for x in sketches]
+        alone = own[0] == own[-1]
+        first = len(own) if alone else own.index(own[-1])
+        start = 0 if alone else first
+        others = sketches[start:]
+        owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
+        place = np.concatenate([np.arange(len(x)) for x in others])
+        values = np.concatenate(others)
+        order = np.argsort(values, kind="stable")
+        values, place, owner = values[order], place[order], owner[order]
+        for x in range(first):
+            fits = (g[start:] != g[x]) & (100 * np.minimum(n[start:], n[x]) >= percent * np.maximum(n[start:], n[x]))
+            if alone:
+                fits[: x + 1] = False
+            if fits.any():
+                est, whole = estimates(sketches[x], int(n[x]), values, place, owner, n[start:])
+                for y in np.nonzero(fits & (est >= np.where(whole, t - 1e-9, least)))[0]:
+                    a, b = int(c[x]), int(c[start + y])
+                    yield min(a, b), max(a, b), float(est[y])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(block):
+            found = list(pairs_of(block))
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "est"])
+
+        here, block = None, []
+        for batch in batches:
+            for *key, own, c, n, g, sketch in zip(*(batch.column(x).to_pylist() for x in ("k", "i", "j", "own", "c", "n", "g", "sketch"))):
+                if key != here:
+                    if len(block) > 1 and (here[1] == here[2] or block[0][0] != block[-1][0]):
+                        yield out(block)
+                    here, block = key, []
+                block.append((own, c, n, g, sketch))
+        if len(block) > 1 and (here[1] == here[2] or block[0][0] != block[-1][0]):
+            yield out(block)
+
+    return rows.mapInArrow(compare, "a long, b long, est double").dropDuplicates(["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) among the pairs (a, b, est), enough to connect what the linked ones connect. texts: (c, text).
 
@@ -193,9 +268,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     spread = lists.join(part, lists.c == part.id, "left").select("k", "c", "n", F.coalesce("component", "c").alias("g"))
     several = spread.groupBy("k").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("k")
     open_lists = stash(spread.join(several, "k", "left_semi"), "open")
-    other = open_lists.select("k", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
-    across = open_lists.join(other, "k").where((F.col("g") < F.col("g2")) & near("n", "n2")).select(*_ordered("c", "c2")).distinct()
-    second = stash(_likely(across.join(first, ["a", "b"], "left_anti"), classes, percent), "across")
+    second = stash(_across(open_lists, classes, percent), "across")
     more = stash(_texts(docs, classes, _ends(second)), "texts")
     links = stash(links.union(_verified(second, more, shingle, percent)), "links")
     part = stash(components(links), "components")

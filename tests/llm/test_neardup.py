@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rowtide.llm import neardup
@@ -85,3 +86,17 @@ def test_components(spark):
             up[b] = a
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == {x: root(x) for a, b in links if a != b for x in (a, b)} and len(got) == len({r.id for r in got})
+
+
+def test_estimates_of_many_are_those_of_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(900, rng.integers(1, 800)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(30)]
+    low, n = [s[: neardup.SKETCH] for s in sets], np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(low)), [len(x) for x in low])
+    place = np.concatenate([np.arange(len(x)) for x in low])
+    values = np.concatenate(low)
+    order = np.argsort(values, kind="stable")
+    for k, s in enumerate(low):
+        est, whole = neardup.estimates(s, int(n[k]), values[order], place[order], owner[order], n)
+        want = [neardup.estimate(s, x, int(n[k]), int(m)) for x, m in zip(low, n)]
+        assert np.allclose(est, [e for e, _ in want]) and whole.tolist() == [w for _, w in want]
