@@ -121,20 +121,28 @@ def estimates(a: np.ndarray, na: int, values: np.ndarray, place: np.ndarray, own
 
 def _across(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, est) of lists (k, c, n, g) whose ends are in different components g and whose estimate doesn't rule them
-    out. A list of several blocks goes to a task for each pair of blocks; no task holds more than two."""
+    out; a pair of several lists comes from that of its least key. A list of several blocks goes to a task for each pair of blocks; no task holds more than two."""
     size = open_lists.groupBy("k").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("s"))
     rows = open_lists.join(size, "k").join(classes.select("c", "sketch"), "c").withColumn("own", F.expr("cast(pmod(xxhash64(c), s) as int)")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     rows = rows.select("k", F.least("own", "e").alias("i"), F.greatest("own", "e").alias("j"), "own", "c", "n", "g", "sketch")
     rows = rows.repartition(shuffle_parts(open_lists.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "own", "c")
     least, t = _least(percent), percent / 100
 
-    def pairs_of(block: list) -> Iterator[tuple[int, int, float]]:
+    def pairs_of(k: int, block: list) -> Iterator[tuple[int, int, float]]:
         own, c, n, g, sketches = zip(*block)
         n, g, c = np.array(n), np.array(g), np.array(c)
         sketches = [np.frombuffer(x, _U) for x in sketches]
         alone = own[0] == own[-1]
         first = len(own) if alone else own.index(own[-1])
         start = 0 if alone else first
+        keys: dict[int, np.ndarray] = {}
+
+        def here(x: int, y: int) -> bool:
+            for z in (x, y):
+                if z not in keys:
+                    keys[z] = np.unique(_keys(sketches[z]))
+            return np.intersect1d(keys[x], keys[y], assume_unique=True)[0] == k
+
         others = sketches[start:]
         owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
         place = np.concatenate([np.arange(len(x)) for x in others])
@@ -148,12 +156,13 @@ def _across(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFram
             if fits.any():
                 est, whole = estimates(sketches[x], int(n[x]), values, place, owner, n[start:])
                 for y in np.nonzero(fits & (est >= np.where(whole, t - 1e-9, least)))[0]:
-                    a, b = int(c[x]), int(c[start + y])
-                    yield min(a, b), max(a, b), float(est[y])
+                    if here(x, start + int(y)):
+                        a, b = int(c[x]), int(c[start + y])
+                        yield min(a, b), max(a, b), float(est[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block):
-            found = list(pairs_of(block))
+        def out(k, block):
+            found = list(pairs_of(k, block))
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "est"])
 
         here, block = None, []
@@ -161,13 +170,13 @@ def _across(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFram
             for *key, own, c, n, g, sketch in zip(*(batch.column(x).to_pylist() for x in ("k", "i", "j", "own", "c", "n", "g", "sketch"))):
                 if key != here:
                     if len(block) > 1 and (here[1] == here[2] or block[0][0] != block[-1][0]):
-                        yield out(block)
+                        yield out(here[0], block)
                     here, block = key, []
                 block.append((own, c, n, g, sketch))
         if len(block) > 1 and (here[1] == here[2] or block[0][0] != block[-1][0]):
-            yield out(block)
+            yield out(here[0], block)
 
-    return rows.mapInArrow(compare, "a long, b long, est double").dropDuplicates(["a", "b"])
+    return rows.mapInArrow(compare, "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -248,9 +257,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """
     spark = docs.sparkSession
     small_batches(spark, 300)
-    found = stash(sketches(docs, shingle), "sketches")
-    wordy = found.where("c is not null")
+    full = stash(sketches(docs, shingle), "sketches")
+    wordy = full.where("c is not null")
     classes = stash(wordy.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    found = stash(full.select("doc_id", "h", "n", "c"), "rows")
+    discard(full)
     entries = classes.select("c", "n", F.explode("keys").alias("k"))
     shared = entries.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
     lists = stash(entries.join(shared, "k", "left_semi"), "lists")
