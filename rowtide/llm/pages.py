@@ -1,10 +1,10 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, smoothing and threshold clustering.
 
 The page becomes lines, one for each block of text. A line's ratio is its characters for each tag that it has;
-ratios are smoothed with a Gaussian and split in two clusters at the threshold that separates them best. The region
-whose lines hold most of the text of the upper cluster is the article; an <article> or <main> element marks regions by
-itself. What stands in menus, headers, footers, side bars, notices, adverts, forms, comments and the like is known by
-its element, role or class and is never part of a line.
+ratios are smoothed with a Gaussian and split in two clusters at the threshold that separates them best. The article is the
+innermost region that still holds nearly all text of the upper cluster; without such lines there is none. What stands in
+menus, headers, footers, side bars, notices, adverts, forms, comments and the like, known by its element, role or class, is
+never part of a line. An <article> or <main> is no more than an element that a region doesn't go below.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ _OUT_WORDS = frozenset(
 )
 _HEAD_WORDS = frozenset(("header", "topbar", "top"))
 _ROOTS = frozenset(("article", "main"))
+#: Elements that a region may be; lists, tables and paragraphs are parts of one.
+_REGIONS = frozenset("article body center div html main section td".split())
+#: Share of the upper cluster's text that a region must keep of the one around it.
+NEARLY = 0.8
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -50,7 +54,7 @@ class _Events(HTMLParser):
         self.text: list[str] = []
         self.tags = self.link = self.links = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.roots: list[tuple[int, str]] = []
+        self.kind: dict[int, str] = {}
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -77,9 +81,8 @@ class _Events(HTMLParser):
         self.made += 1
         if not out:
             out = self.left_out(tag, dict(attrs), rooted)
-            if tag in _ROOTS and not out:
-                self.roots.append((self.made, tag))
-                rooted = True
+            self.kind[self.made] = tag
+            rooted = rooted or tag in _ROOTS and not out
         self.open.append((tag, self.made, out, rooted))
 
     def left_out(self, tag: str, attrs: dict, rooted: bool) -> bool:
@@ -167,27 +170,25 @@ def main_text(html: str | None) -> str:
     ratios = smoothed([len(t) / max(1, tags) for t, tags, _, _ in lines])
     upper = threshold(ratios)
     mass: dict[int, int] = defaultdict(int)
+    inside: dict[int, set[int]] = defaultdict(set)
     for (text, _, link, around), ratio in zip(lines, ratios):
-        if ratio >= upper and 2 * link <= len(text):
-            for e in around:
+        path = [0, *(e for e in around if page.kind.get(e) in _REGIONS)]
+        for outer, e in zip(path, path[1:]):
+            inside[outer].add(e)
+        if ratio >= upper and ratio > 0 and 2 * link <= len(text):
+            for e in path:
                 mass[e] += len(text)
-    held: dict[int, int] = defaultdict(int)
-    for text, _, _, around in lines:
-        for e in around:
-            held[e] += len(text)
-    for kind in ("article", "main"):
-        roots = [e for e, tag in page.roots if tag == kind and held[e]]
-        if roots:
-            best = max(roots, key=lambda e: (mass[e], held[e], -e))
-            return " ".join(t for t, _, _, around in lines if best in around)
+    if not mass[0]:
+        return ""
     region = 0
-    while True:  # down to the element that still holds nearly all of the upper cluster's text
-        inner = [e for e in mass if e and mass[e] >= 0.8 * mass[region] and e != region and any(region in a and e in a for *_, a in lines) and e > region]
-        deeper = [e for e in inner if sum(e in a for *_, a in lines) > 1]
-        if not deeper:
+    while page.kind.get(region) not in _ROOTS:
+        best = max(inside[region], key=lambda e: (mass[e], -e), default=0)
+        if not best or mass[best] < NEARLY * mass[region]:
             break
-        region = min(deeper)
-    return " ".join(t for t, _, link, around in lines if region in around and 2 * link <= len(t))
+        region = best
+    # link lists go, but not from a region that the page itself marks as its text
+    marked = page.kind.get(region) in _ROOTS
+    return " ".join(t for t, _, link, around in lines if (not region or region in around) and (marked or 2 * link <= len(t)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

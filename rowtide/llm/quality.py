@@ -15,8 +15,11 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Rules of a document that count against its host: most repeated words, symbols and repeated lines, in hundredths.
 MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES = 30, 20, 30
-#: A host whose shrunk failure rate is above this is rejected whole.
-HOST_LIMIT = 0.8
+#: A host whose shrunk failure rate is above this is rejected whole: most of what it has fails.
+HOST_LIMIT = 0.5
+#: A host is suspect if its shrunk rate is above the prior's mean by more than this. Symbols and repeated lines, which no document
+#: is rejected for by itself, are held against the documents of suspect hosts.
+ABOVE = 1e-9
 
 
 def _count(chars: str, text: Column) -> Column:
@@ -57,20 +60,21 @@ def base_failed(mark: str = "__q_") -> Column:
     return (words < MIN_WORDS) | (100 * repeats > MOST_REPEATED * words)
 
 
-def rule_failed(mark: str = "__q_") -> Column:
-    """A document fails for its host by any rule: the base, too many symbols, or too many repeated lines."""
+def soft_failed(mark: str = "__q_") -> Column:
+    """Too many symbols, or too many repeated lines. With the base, a document's failures for its host."""
     c = lambda name: F.col(mark + name)
-    return base_failed(mark) | (100 * c("symbols") > MOST_SYMBOLS * c("chars")) | (100 * c("dups") > MOST_DUP_LINES * c("lines"))
+    return (100 * c("symbols") > MOST_SYMBOLS * c("chars")) | (100 * c("dups") > MOST_DUP_LINES * c("lines"))
 
 
-def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """(host, docs, failed, rate): each host's failures and its rate, shrunk by the beta distribution that has the mean
-    and variance of all hosts' rates. measured has a boolean column `failed`. A null host is one host."""
-    hosts = stash(measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("docs"), F.count_if("failed").alias("failed")), "hosts")
+def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """(host, docs, failed, rate, suspect, bad): each host's failures and its rate, shrunk by the beta distribution that has
+    the mean and variance of all hosts' rates. bad: above the limit; suspect: above the prior's mean. measured: (host,
+    base, soft), booleans that say which rules a document fails. A null host is one host; no rows give no hosts."""
+    hosts = stash(measured.groupBy("host").agg(F.count("*").alias("docs"), F.count_if(F.col("base") | F.col("soft")).alias("failed")), "hosts")
     own = F.col("failed") / F.col("docs")
-    mean, variance = hosts.agg(F.avg(own), F.var_pop(own)).first()
-    a, b = prior(mean, variance)
-    return hosts.withColumn("rate", (F.col("failed") + a) / (F.col("docs") + a + b))
+    a, b = prior(*hosts.agg(F.avg(own), F.var_pop(own)).first())
+    rated = hosts.withColumn("rate", (F.col("failed") + a) / (F.col("docs") + a + b))
+    return rated.withColumns({"suspect": F.col("rate") > a / (a + b) + ABOVE, "bad": F.col("rate") > limit})
 
 
 def prior(mean: float | None, variance: float | None) -> tuple[float, float]:
@@ -82,33 +86,35 @@ def prior(mean: float | None, variance: float | None) -> tuple[float, float]:
     return (mean * weight, (1 - mean) * weight) if weight > 0 else (1.0, 1.0)
 
 
-def rejected_hosts(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    return host_rates(measured, host).where(F.col("rate") > limit).select("host")
+def _judged(rows: DataFrame, limit: float) -> DataFrame:
+    """rows (host, base, soft) with `host_ok`, false if the host's verdict rejects them. Only hosts with one are joined."""
+    verdicts = host_verdicts(rows.select("host", "base", "soft"), limit).where("suspect or bad").select(F.col("host").alias("of"), "bad")
+    joined = rows.join(verdicts, rows.host.eqNullSafe(F.col("of")), "left")
+    return joined.withColumn("host_ok", F.col("bad").isNull() | ~(F.col("bad") | F.col("soft"))).drop("of", "bad")
 
 
 def score(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs.
 
-    kept: not base_failed, and the host isn't rejected. A null text has no words (and so fails), a null host is a host
-    of its own, a null doc_id stays null, rows that repeat are judged each. An empty table gives no rows; other columns
-    are not read. The texts are read once; hosts are summed before the shuffle, and only rejected hosts are joined.
+    kept: not base_failed, the host isn't rejected, and either the host isn't suspect or symbols and repeated lines are
+    few. A null text has no words (and so fails), a null host is a host of its own, a null doc_id stays null, rows that
+    repeat are judged each. An empty table gives no rows; other columns are not read. The texts are read once; hosts are
+    summed before the shuffle.
     """
     rows = with_measures(docs.select("doc_id", "text", F.col(host).alias("host"))).drop("text")
-    rows = stash(rows.withColumns({"base_failed": base_failed(), "failed": rule_failed()}), "measures")
-    bad = rejected_hosts(rows, "host", limit).withColumnRenamed("host", "bad")
+    rows = stash(rows.withColumns({"base": base_failed(), "soft": soft_failed()}), "measures")
     names = {"n_words": "words", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "dups", "n_repeat_words": "repeats"}
-    judged = rows.join(bad.withColumn("hit", F.lit(True)), rows.host.eqNullSafe(F.col("bad")), "left")
-    return judged.select("doc_id", *(F.col("__q_" + v).alias(k) for k, v in names.items()), "base_failed", (~F.col("base_failed") & F.col("hit").isNull()).alias("kept"))
+    return _judged(rows, limit).select("doc_id", *(F.col("__q_" + v).alias(k) for k, v in names.items()), F.col("base").alias("base_failed"), (~F.col("base") & F.col("host_ok")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that `score` keeps, with docs' own columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    """The rows of docs that `score` keeps, with docs' own columns, whatever their names; nulls, repeated rows and empty tables
+    as there."""
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    renamed = docs.toDF(*own).select("*", F.col(own[docs.columns.index("text")]).alias("__text"), F.col(own[docs.columns.index(host)]).alias("host"))
     # written before it is filtered: a filter would be pushed down and repeat the array functions inside each other
-    rows = stash(with_measures(docs).select(*columns, base_failed().alias("__q_base"), rule_failed().alias("__q_failed")), "measured")
-    bad = rejected_hosts(rows.select(F.col(host).alias("host"), F.col("__q_failed").alias("failed")), "host", limit).select(F.col("host").alias("__q_bad"))
-    good = rows.where("not __q_base").join(bad, F.col(host).eqNullSafe(F.col("__q_bad")), "left_anti")
-    return good.select(*columns)
+    rows = stash(with_measures(renamed, "__text").select(*own, "host", base_failed().alias("base"), soft_failed().alias("soft")), "measured")
+    return _judged(rows, limit).where(~F.col("base") & F.col("host_ok")).select(*own).toDF(*docs.columns)
 
 
 SCORE_SQL = r"""
@@ -120,10 +126,10 @@ z AS (SELECT r, sum(least(8, coalesce(j - i, 8)))::BIGINT AS reps FROM y GROUP B
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(reps, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN z USING (r)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines) AS k FROM f GROUP BY source),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS soft FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS k FROM f GROUP BY source),
 v AS (SELECT avg(k / n) AS m, var_pop(k / n) AS s FROM h),
 q AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN s > 0 THEN least(1e6, m * (1 - m) / s - 1) ELSE 1e6 END AS wt FROM v),
-b AS (SELECT source, (k + CASE WHEN wt > 0 THEN m * wt ELSE 1 END) / (n + CASE WHEN wt > 0 THEN wt ELSE 2 END) > 0.8 AS bad FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
+r AS (SELECT source, (k + CASE WHEN wt > 0 THEN m * wt ELSE 1 END) / (n + CASE WHEN wt > 0 THEN wt ELSE 2 END) AS rate, CASE WHEN wt > 0 THEN m ELSE 0.5 END AS mid FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > 0.5) AND NOT (soft AND rate > mid + 1e-9) AS kept FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """

@@ -86,3 +86,57 @@ def test_pages(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = " ".join(h.unescape(re.sub(r"</?(?:p|br|h1|div|ul|li)\b[^>]*>", " ", re.sub(r"</?(?:b|i|em|strong|a)\b[^>]*>", "", body))).split())
         assert texts[r.page_id] == want
+
+
+def test_host_verdicts_act_beyond_the_base(spark):
+    clean = " ".join(f"word{k}" for k in range(40))
+    soft = clean + "\n***\n***\n***\n***\n" + " ".join("#$%&|" * 8 for _ in range(8))
+    rows = []
+    for host, failing, n in (("a", 0, 30), ("b", 1, 30), ("c", 6, 30), ("d", 27, 30)):
+        rows += [(len(rows) + k, "short" if k < failing else clean, host) for k in range(n)]
+        rows += [(1000 + len(rows), soft, host)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    kept = {h: {d for d, _, x in rows if x == h and got[d].kept} for h in "abcd"}
+    softs = {h: next(d for d, t, x in rows if x == h and t == soft) for h in "abcd"}
+    assert not any(got[d].base_failed for d in softs.values())
+    assert softs["a"] in kept["a"] and softs["b"] in kept["b"] and len(kept["a"]) == 31 and len(kept["b"]) == 30
+    assert softs["c"] in kept["c"] and len(kept["c"]) == 25  # below the prior's mean
+    assert not kept["d"]  # rejected whole, clean documents too
+    worse = docs.where("source <> 'd'")
+    again = {r.doc_id: r.kept for r in quality.score(worse).collect()}
+    assert not again[softs["c"]] and again[softs["a"]] and sum(again[d] for d, _, h in rows if h == "c") == 24  # suspect now
+    assert {r.doc_id for r in quality.keep_good(worse).collect()} == {d for d, k in again.items() if k}
+
+
+def test_quality_with_clashing_columns(spark):
+    clean = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, clean, "h", True, 1), (2, "x", None, None, None)], "doc_id long, text string, source string, base boolean, `__q_words` int")
+    assert [tuple(r) for r in quality.keep_good(docs).collect()] == [(1, clean, "h", True, 1)]
+
+
+WORDS = "Words that make up a sentence of the text, followed by others, as articles have them. "
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<body><div><a href=a>one</a><a href=b>two</a></div><div><h1>Title</h1><p>" + WORDS * 4 + "<p>" + WORDS * 5 + "<p>Short end.</div><div><a href=c>three</a></div>", "Title " + WORDS * 9 + "Short end."),
+    ("<body><div class='widget-free'><p>x</div><div class=story><p>" + WORDS * 6 + "</p><p>" + WORDS * 3 + "</p><aside>" + WORDS + "</aside></div>", WORDS * 9),
+    ("<body><main class='sidebar-left ad'><p>" + WORDS * 3 + "<p>y</main><div class=comments><p>" + WORDS * 8 + "</div>", None),
+    ("<div>" + "<p><i>a</i><b>b</b><u>c</u></p>" * 60 + "</div><section><p>" + WORDS * 9 + "</p><p>" + WORDS * 9 + "</p></section>", WORDS * 18),
+])
+def test_ratios_choose_the_region(html, want):
+    got = pages.main_text(html)
+    assert got == (want.strip() if want else (WORDS * 3).strip() + " y") or not want and got == ""
+
+
+def test_nothing_without_text_per_tag(monkeypatch):
+    html = "<article><p>" + WORDS * 3 + "</article>"
+    assert pages.main_text(html)
+    monkeypatch.setattr(pages, "smoothed", lambda v: [0.0] * len(v))
+    assert pages.main_text(html) == ""
+
+
+def test_a_very_long_page():
+    html = "<nav><a href=x>x</a></nav><div>" + "".join(f"<p>{WORDS}{k}" for k in range(30_000)) + "</div>"
+    text = pages.main_text(html)
+    assert text.startswith(WORDS + "0 ") and text.endswith(" 29999") and len(text) > 30_000 * len(WORDS)
