@@ -15,6 +15,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Rules of a document that count against its host: most repeated words, symbols and repeated lines, in hundredths.
 MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES = 30, 20, 30
+#: Fewer repeated lines than this are none too many, whatever their share of a short text.
+LEAST_DUP_LINES = 3
 #: A host whose shrunk failure rate is above this is rejected whole: most of what it has fails.
 HOST_LIMIT = 0.5
 #: A host is suspect if its shrunk rate is above the prior's mean by more than this. Symbols and repeated lines, which no document
@@ -63,7 +65,7 @@ def base_failed(mark: str = "__q_") -> Column:
 def soft_failed(mark: str = "__q_") -> Column:
     """Too many symbols, or too many repeated lines. With the base, a document's failures for its host."""
     c = lambda name: F.col(mark + name)
-    return (100 * c("symbols") > MOST_SYMBOLS * c("chars")) | (100 * c("dups") > MOST_DUP_LINES * c("lines"))
+    return (100 * c("symbols") > MOST_SYMBOLS * c("chars")) | (100 * c("dups") > MOST_DUP_LINES * c("lines")) & (c("dups") >= LEAST_DUP_LINES)
 
 
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -126,7 +128,7 @@ z AS (SELECT r, sum(least(8, coalesce(j - i, 8)))::BIGINT AS reps FROM y GROUP B
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(reps, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN z USING (r)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS soft FROM m),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines AND n_dup_lines >= 3 AS soft FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS k FROM f GROUP BY source),
 v AS (SELECT avg(k / n) AS m, var_pop(k / n) AS s FROM h),
 q AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN s > 0 THEN least(1e6, m * (1 - m) / s - 1) ELSE 1e6 END AS wt FROM v),
