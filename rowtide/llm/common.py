@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. One of our own where it is unset and all run on
+    this machine; ValueError where they don't, since each would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark._jvm.org.apache.hadoop.fs.Path(named)
         full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="rowtide-"))
     return _own_folder[0]

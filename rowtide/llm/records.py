@@ -62,7 +62,8 @@ def payload_ids(body: bytes) -> np.ndarray:
 def _place(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    scheme, found, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else folder)
 
 
 def write_records(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
@@ -144,7 +145,8 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = True) -> Dat
 
 
 def read_shuffled(spark: SparkSession, folder: str, seed: int = 0) -> DataFrame:
-    """The records (doc_id, ids) in a random order: the index is shuffled, the files are read by offset."""
+    """The records (doc_id, ids) in a random order: the index is shuffled, the files are read by offset. Null doc_ids and
+    repeated rows stay as they were written, records of equal order come in any, an empty index gives no rows."""
     kind = spark.read.parquet(f"{folder}/index").schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
