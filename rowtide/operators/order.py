@@ -15,9 +15,12 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in one of our own only where it is unset."""
+    """A new path in the folder of spark.checkpoint.dir. One of our own where it is unset and all run on this machine;
+    ValueError where they don't, since each would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="rowtide-"))
         root = _own[0]
@@ -44,6 +47,18 @@ def with_row_index(df: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn(ROW, F.col("__at") + starts[F.col("__part")]).drop("__part", "__at")
 
 
+def first_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first n rows of df in the order of keys, with row_idx. Each task keeps n rows; the table isn't shuffled."""
+    return df.orderBy(*keys).limit(n).withColumn(ROW, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
+
+
+def last_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The last n rows of df in the order of keys, with row_idx; a count and n rows of each task."""
+    total = df.count()
+    place = F.row_number().over(Window.orderBy(*(F.col(k).desc_nulls_last() for k in keys)))
+    return df.orderBy(*(F.col(k).desc_nulls_last() for k in keys)).limit(n).withColumn(ROW, F.lit(total).cast("long") - place)
+
+
 def with_neighbours(df: DataFrame, cells: dict[str, tuple[str, int]], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df (with row_idx) and, for each name in cells, the value of a column some rows away (null beyond the ends).
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.types import TAG, UNSIGNED
+
 BOOL, INT, UINT, FLOAT, STRING = "bool", "int", "uint", "float", "string"
 LEVELS = [("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", "<=", ">", ">="), ("<<", ">>"), ("+", "-"), ("*", "/", "%")]
 _BINDS = {op: k for k, ops in enumerate(LEVELS) for op in ops}
@@ -142,9 +144,9 @@ def parse_selection(text: str) -> list[Node]:
 
 
 def kind_of(field: T.StructField) -> str:
-    """The language's type of a column: its logical type (metadata "ltype") or else its Spark type."""
-    logical = (field.metadata or {}).get("ltype", "")
-    if logical.startswith("uint") or isinstance(field.dataType, T.DecimalType) and not logical:
+    """The language's type of a column: its logical type, if its metadata has one, or else its Spark type."""
+    logical = (field.metadata or {}).get(TAG, "")
+    if logical in UNSIGNED or isinstance(field.dataType, T.DecimalType) and not logical:
         return UINT
     if isinstance(field.dataType, T.BooleanType):
         return BOOL
@@ -217,7 +219,7 @@ class Compiler:
         if kind == STRING or op == "-" and kind == BOOL or op == "~" and kind == FLOAT:
             raise ExprError(f"{op} doesn't take {kind}", node.position)
         if op == "-":
-            return (-c, FLOAT) if kind == FLOAT else (-signed(c, kind), INT)
+            return (-c, FLOAT) if kind == FLOAT else (word("-", F.lit(0).cast("long"), signed(c, kind)), INT)
         return F.bitwise_not(signed(c, kind)), INT
 
     def binary(self, op: str, left, right, node: Node) -> tuple[Column, str]:
@@ -250,7 +252,7 @@ class Compiler:
         if op in "+-*":
             if kind == UINT:
                 return wrapped({"+": a + b, "-": a - b, "*": a.cast("decimal(38,0)") * b}[op]), UINT
-            return {"+": a + b, "-": a - b, "*": a * b}[op], INT
+            return word(op, a, b), INT
         return self.integer_quotient(op, a, b, kind), kind
 
     def integer_quotient(self, op: str, a: Column, b: Column, kind: str) -> Column:
@@ -275,6 +277,13 @@ def signed(c: Column, kind: str) -> Column:
     return c.cast("long")
 
 
+def word(op: str, a: Column, b: Column) -> Column:
+    """Signed 64-bit arithmetic that wraps around, whatever the session's ANSI setting."""
+    x, y = (c.cast("decimal(19,0)") for c in (a, b))
+    exact = {"+": x + y, "-": x - y, "*": x * y}[op]
+    return F.coalesce({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b), signed(wrapped(exact), UINT))
+
+
 def wrapped(c: Column) -> Column:
     return F.pmod(c, F.lit(str(U64)).cast("decimal(21,0)")).cast("decimal(20,0)")
 

@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cast, compare, nested, selection
-from ..operators.order import ROW, with_row_index
+from ..operators.order import ROW, first_rows, last_rows, shared_path, with_row_index
 from ..operators.sampler import sample
+from ..sources import delimited
+
+
+def plain_events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
 
 
 def events(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    return with_row_index(rows, "event_id")
+    return with_row_index(plain_events(spark, sf_dir), "event_id")
+
+
+def _unsigned(condition, selection):
+    """Over events with event_id as uint32 and user_id as uint16, clamped."""
+    return lambda spark, sf_dir: sample(cast.cast_static(events(spark, sf_dir), "event_id=u32,user_id=u16"), condition, selection)
+
+
+def _as_text(**how):
+    """Events written as delimited text and read back, with inferred types as far as none are forced."""
+
+    def query(spark, sf_dir):
+        path = shared_path(spark)
+        delimited.write(plain_events(spark, sf_dir), path)
+        back = delimited.read(spark, path, **how)
+        return back.select(*(F.col(c).cast("long") for c in ("event_id", "user_id")), "event_type", F.col("value").cast("double"))
+
+    return query
 
 
 def _sampled(condition, selection, **how):
@@ -57,8 +78,14 @@ QUERIES = {
     "sampler_skip_row": (_sampled("X[0][0] / (X[0][1] % 5) >= 0", "X[0][0] / (X[0][1] % 3), X[0][1] % 7", on_error="skip_row"), f"{_E} SELECT row_idx, event_id // (user_id % 3) AS expr0, user_id % 7 AS expr1 FROM e WHERE user_id % 5 <> 0 AND user_id % 3 <> 0"),
     "sampler_saturate": (_sampled("true", "X[0][0] / (X[0][1] % 3), X[0][0] % (X[0][1] % 2)", on_error="saturate"), f"{_E} SELECT row_idx, CASE WHEN user_id % 3 = 0 THEN 9223372036854775807 ELSE event_id // (user_id % 3) END AS expr0, CASE WHEN user_id % 2 = 0 THEN 0 ELSE event_id % (user_id % 2) END AS expr1 FROM e"),
     "sampler_truth": (_sampled("!(X[0][1] % 2) && X[0][3]", "X[0][0], !X[0][3], -X[0][0]"), f"{_E} SELECT row_idx, event_id, NOT (value <> 0) AS expr1, -event_id AS expr2 FROM e WHERE user_id % 2 = 0 AND value <> 0"),
-    "head": (lambda s, d: selection.head(events(s, d), 10), f"{_E} SELECT {_ALL} FROM e WHERE row_idx < 10"),
-    "tail": (lambda s, d: selection.tail(events(s, d), 10), f"{_E} SELECT {_ALL} FROM e, n WHERE row_idx >= n - 10"),
+    "sampler_unsigned": (_unsigned("X[0][0] < X[0][1] || true", "X[0][0] - X[0][1], X[0][1] * X[0][0]"), f"{_E} SELECT row_idx, ((event_id::HUGEINT - least(user_id, 65535) + {2**64}) % {2**64})::DECIMAL(20,0) AS expr0, (least(user_id, 65535)::HUGEINT * event_id)::DECIMAL(20,0) AS expr1 FROM e"),
+    "sampler_promotion": (_unsigned("X[0][0] > X[0][1]", "X[0][0] + 1, X[0][1] * X[0][3], (X[0][3] > 50.0) + X[0][1]"), f"{_E} SELECT row_idx, event_id + 1 AS expr0, least(user_id, 65535) * value AS expr1, (value > 50.0)::BIGINT + least(user_id, 65535) AS expr2 FROM e WHERE event_id > least(user_id, 65535)"),
+    "sampler_wrap": (_sampled("true", "X[0][0] * 9223372036854775807, X[0][1] + 9223372036854775800"), f"{_E} SELECT row_idx, ((event_id::HUGEINT * 9223372036854775807 + {2**63}) % {2**64} - {2**63})::BIGINT AS expr0, ((user_id::HUGEINT + 9223372036854775800 + {2**63}) % {2**64} - {2**63})::BIGINT AS expr1 FROM e"),
+    "csv_round_trip": (_as_text(), "SELECT event_id, user_id, event_type, value FROM events"),
+    "csv_forced_clamp": (_as_text(forced={"event_id": "u8", "user_id": "i8"}), "SELECT least(event_id, 255) AS event_id, least(user_id, 127) AS user_id, event_type, value FROM events"),
+    "cast_optimize": (lambda s, d: cast.optimize(lineitem(s, d)).select(*(F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber")), F.col("l_quantity").cast("double")), "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem"),
+    "head": (lambda s, d: first_rows(plain_events(s, d), 10, "event_id"), f"{_E} SELECT {_ALL} FROM e WHERE row_idx < 10"),
+    "tail": (lambda s, d: last_rows(plain_events(s, d), 10, "event_id"), f"{_E} SELECT {_ALL} FROM e, n WHERE row_idx >= n - 10"),
     "first_last_row": (lambda s, d: selection.between(events(s, d), 5, 99), f"{_E} SELECT {_ALL} FROM e WHERE row_idx BETWEEN 5 AND 99"),
     "slice": (lambda s, d: selection.slice_rows(events(s, d), "10:-10:7"), f"{_E} SELECT {_ALL} FROM e, n WHERE row_idx >= 10 AND row_idx < n - 10 AND (row_idx - 10) % 7 = 0"),
     "index_ranges": (lambda s, d: selection.rows_in(events(s, d), "0:9,5:20,-3:,100"), f"{_E} SELECT {_ALL} FROM e, n WHERE row_idx <= 20 OR row_idx = 100 OR row_idx >= n - 3"),

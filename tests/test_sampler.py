@@ -1,10 +1,12 @@
 import pytest
 
+from rowtide.operators.cast import cast_static
 from rowtide.operators.order import ROW, with_neighbours, with_row_index
 from rowtide.operators.sampler import sample
 from rowtide.operators.selection import parse_ranges, slice_rows
 from rowtide.plans.language import ExprError
 
+#: Rows whose results are known.
 TABLE = [
     (1.0, 20.5, "ok", 6, 0), (2.0, 21.0, "ok", 7, 1), (3.0, 21.0, "warn", 3, 2), (4.0, 55.0, "alarm", 5, 3),
     (5.0, 55.0, "alarm", 5, 100), (6.0, 22.0, "ok", 7, 101), (7.0, 22.5, "ok", 6, 102),
@@ -68,3 +70,22 @@ def test_ranges(table):
         with pytest.raises(ValueError):
             parse_ranges(bad, None if bad == "-1" else 10)
     assert sorted(r[ROW] for r in slice_rows(table, "1:-1:2").collect()) == [1, 3, 5]
+
+
+def test_unsigned_columns(spark):
+    df = cast_static(spark.createDataFrame([(0, 3, 5), (1, 9, 2)], "row_idx long, a long, b long"), "a=u8,b=u32")
+    out = sample(df, "true", "X[0][0] - X[0][1], X[0][0] + 1, X[0][0] - 10")
+    assert [tuple(map(int, r)) for r in out.orderBy("row_idx").collect()] == [(0, 2**64 - 2, 4, -7), (1, 7, 10, -1)]
+    assert [f.dataType.simpleString() for f in out.schema][1:] == ["decimal(20,0)", "bigint", "bigint"]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_integers_wrap(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(0, 2**63 - 1, -(2**63))], "row_idx long, a long, b long")
+        row = sample(df, "true", "X[0][0] + 1, X[0][1] - 1, X[0][0] * X[0][0], -X[0][1]").first()
+        assert tuple(row) == (0, -(2**63), 2**63 - 1, 1, -(2**63))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
