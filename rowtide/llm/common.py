@@ -71,6 +71,14 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... and, beside them, doc_id and text, so that no name that docs has can clash; and the
+    former's names in order."""
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    of = {name: F.col(c).alias(name) for name, c in zip(docs.columns, own) if name in ("doc_id", "text")}
+    return docs.toDF(*own).select("*", of["doc_id"], of["text"]), own
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds what an Arrow batch holds, since one text may have megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

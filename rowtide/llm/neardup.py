@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, shuffle_parts, small_batches, stash
+from .common import components, discard, renamed, shuffle_parts, small_batches, stash
 from .fingerprints import Shingles, mix
 
 SHINGLE, PERCENT = 5, 80
@@ -299,16 +299,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     drop = found.groupBy(F.col("doc_id").alias("__n_id"), F.col("h").alias("__n_h")).agg(F.bool_or("kept").alias("__n_kept"), F.max("n_shingles").alias("__n_size"))
     repeated = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("m"), F.min("h").alias("first_h")).where("m > 1")
     h = F.xxhash64("text")
-    rows = docs.withColumn("__n_hash", h)
+    frame, own = renamed(docs)
+    rows = frame.withColumn("__n_hash", h)
     joined = rows.join(drop.where("not __n_kept"), rows.doc_id.eqNullSafe(F.col("__n_id")) & (F.col("__n_hash") == F.col("__n_h")), "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     if repeated.isEmpty():
-        return joined.select(*columns)
+        return joined.select(*own).toDF(*docs.columns)
     many = repeated.select(F.col("component_id").alias("__m_id"), F.col("first_h").alias("__m_h"))
     marked = joined.join(many, joined.doc_id.eqNullSafe(F.col("__m_id")), "left")
     once = marked.where("__m_id is not null or __m_h is not null").where(F.col("__n_hash") == F.col("__m_h")).dropDuplicates(["__m_id", "__m_h"])
-    return marked.where("__m_id is null and __m_h is null").unionByName(once).select(*columns)
+    return marked.where("__m_id is null and __m_h is null").unionByName(once).select(*own).toDF(*docs.columns)
 
 
 def dedup(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
+    """`groups` without h. Nulls, empty texts, ties, repeated rows and empty tables are as there."""
     return groups(docs, shingle, percent).drop("h")

@@ -23,7 +23,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    # the text that is left follows the contract's columns
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True).drop("tag").withColumnRenamed("kept", "text")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

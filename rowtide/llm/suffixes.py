@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, small_batches, stash
+from .common import BLANKS, discard, renamed, small_batches, stash
 from .fingerprints import mix
 
 DEPTH = 400
@@ -310,12 +310,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
 
 
 def cut_repeats(docs: DataFrame, depth: int = DEPTH, words: int | None = None) -> DataFrame:
-    """docs with text cut as `remove_repeats` cuts it; null texts stay null, other columns stay."""
+    """docs with text cut as `remove_repeats` cuts it; null texts stay null, other columns stay, whatever their names. Rows equal
+    in doc_id and text are cut alike; an empty table gives no rows."""
     cut = remove_repeats(docs, depth, keep_text=True, words=words).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), "tag", "kept").dropDuplicates(["__s_id", "tag"])
     cut = stash(cut.select("__s_id", F.col("tag").alias("__s_tag"), F.col("kept").alias("__s_kept")), "cut")
-    rows = docs.withColumn("__s_hash", F.xxhash64("text"))
+    frame, own = renamed(docs)
+    rows = frame.withColumn("__s_hash", F.xxhash64("text"))
     rows = rows.join(cut, rows.doc_id.eqNullSafe(F.col("__s_id")) & (F.col("__s_hash") == F.col("__s_tag")), "left")
-    return rows.select(*(F.coalesce("__s_kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(F.coalesce("__s_kept", "text").alias(c) if name == "text" else c for name, c in zip(docs.columns, own))).toDF(*docs.columns)
 
 
 def _text(data: bytes, spans: list[tuple[int, int]]) -> str:
