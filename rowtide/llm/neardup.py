@@ -36,6 +36,9 @@ _U = np.uint64
 
 
 class _Sets(Shingles):
+    def __init__(self, size: int):
+        super().__init__(size, keep=100_000)  # several workers of an executor hold some at a time
+
     def of(self, text: str) -> np.ndarray:
         return np.unique(super().of(text.encode().lower().decode()))  # bytes.lower(): A-Z only
 
