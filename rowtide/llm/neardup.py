@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, renamed, shuffle_parts, small_batches, stash
+from .common import alone, components, discard, renamed, shuffle_parts, small_batches, stash
 from .fingerprints import Shingles, mix
 
 SHINGLE, PERCENT = 5, 80
@@ -298,7 +298,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id; of equal rows of that id, one. Rows without
     words stay."""
-    found = stash(groups(docs, shingle, percent), "groups")
+    found = alone(lambda: groups(docs, shingle, percent), "groups")
     drop = found.groupBy(F.col("doc_id").alias("__n_id"), F.col("h").alias("__n_h")).agg(F.bool_or("kept").alias("__n_kept"), F.max("n_shingles").alias("__n_size"))
     repeated = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("m"), F.min("h").alias("first_h")).where("m > 1")
     h = F.xxhash64("text")

@@ -18,6 +18,17 @@ def tables(spark):
     return {p.name for p in Path(common.shared_folder(spark).removeprefix("file://")).iterdir()}
 
 
+def test_a_stage_leaves_one_small_table(spark, tmp_path):
+    docs = corpus(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = tables(spark)
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        left = tables(spark) - before
+        assert len(left) == 1 and left.pop().split("-")[0] in ("gone", "groups", "cut"), name
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.count() > 0
+
+
 def test_parts_change_no_result(spark, monkeypatch):
     docs = corpus(spark).where("text is not null")
     gone = lambda: sorted(map(tuple, lines.repeated_lines(docs.select("doc_id", "text")).collect()))
