@@ -14,6 +14,7 @@ their full sets, family by family.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ KEYED, RUN, TINY = 40, 3, 12
 SIGMAS = 5
 #: Members of a family that are verified in one block, and of a list that are compared in one.
 BLOCK = 400
+#: Documents whose sketches are shuffled at a time to make classes, dealt by class, and the most parts that they are dealt into, which
+#: bounds the disk that they take.
+PART_ROWS, PARTS = 10_000, 4
 _U = np.uint64
 
 
@@ -262,7 +266,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     small_batches(spark, 300)
     full = stash(sketches(docs, shingle), "sketches")
     wordy = full.where("c is not null")
-    classes = stash(wordy.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    one = lambda rows: rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    parts = min(PARTS, 1 + full.count() // PART_ROWS)
+    classes = reduce(DataFrame.union, [stash(one(wordy.where(F.pmod("c", F.lit(parts)) == n)), "classes") for n in range(parts)])
     found = stash(full.select("doc_id", "h", "n", "c"), "rows")
     discard(full)
     entries = classes.select("c", "n", F.explode("keys").alias("k"))

@@ -2,7 +2,7 @@ import random
 from pathlib import Path
 
 import corpus_pipeline
-from rowtide.llm import common, lines, suffixes
+from rowtide.llm import common, lines, neardup, suffixes
 
 
 def corpus(spark):
@@ -40,3 +40,18 @@ def test_parts_change_no_result(spark, monkeypatch):
             monkeypatch.setattr(module, name, 4)
         monkeypatch.setattr(module, "PARTS", 3)
     assert (gone(), cut()) == whole
+
+
+def test_near_dedup_makes_its_classes_in_parts(spark, monkeypatch):
+    docs, sizes, stash = corpus(spark), [], neardup.stash
+    whole = sorted(map(tuple, neardup.groups(docs).drop("h").collect()), key=str)
+
+    def counted(df, tag):
+        out = stash(df, tag)
+        sizes.extend([out.count()] if tag == "classes" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "stash", counted)
+    monkeypatch.setattr(neardup, "PART_ROWS", 10, raising=False)
+    assert sorted(map(tuple, neardup.groups(docs).drop("h").collect()), key=str) == whole
+    assert len(sizes) == 4 and 0 < max(sizes) < 40, sizes
